@@ -1,4 +1,4 @@
-"""Queries of the training-data problems (p3, p4, p5, p7, p8, p9) over the engine's tables, and their SQL."""
+"""Queries of the training-data problems (p3, p4, p5, p8) over the engine's tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.keys import blank_to_null, clean_hash, effective_algo
-from linkloom.llm import components, pivots, prefixes, truth, versions
+from linkloom.llm import components, leaks, pivots, prefixes, truth, versions
 from linkloom.session import materialize, shared_dir
 from linkloom.sources.tables import table
 
@@ -107,7 +107,15 @@ def p5_classes(spark: SparkSession, root: str) -> DataFrame:
     return components.components(pairs, "file_ref_a", "file_ref_b").join(links, "node").select(F.col("node").alias("file_ref"), "class_id", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_survivors, p3_values, p3_sources, p4_found, p4_batches, p5_found, p5_classes)}
+# ---- p8
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    """Every document with the evaluation items of which it holds 13 consecutive words."""
+    return leaks.find(table(spark, root, "eval_items"), table(spark, root, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_survivors, p3_values, p3_sources, p4_found, p4_batches, p5_found, p5_classes, p8_found)}
 
 _VERSIONS = """
 versions AS (
