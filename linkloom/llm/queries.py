@@ -1,4 +1,4 @@
-"""Queries of the training-data problems (p3, p4, p5, p8) over the engine's tables, and their SQL."""
+"""Queries of the training-data problems (p3, p4, p5, p8, p9) over the engine's tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.keys import blank_to_null, clean_hash, effective_algo
-from linkloom.llm import components, leaks, pivots, prefixes, truth, versions
+from linkloom.llm import components, leaks, pivots, prefixes, quality, truth, versions
 from linkloom.session import materialize, shared_dir
 from linkloom.sources.tables import table
 
@@ -115,7 +115,25 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks.find(table(spark, root, "eval_items"), table(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_survivors, p3_values, p3_sources, p4_found, p4_batches, p5_found, p5_classes, p8_found)}
+# ---- p9
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """The documents that are for the most part not prose, with their shape."""
+    return quality.measured(table(spark, root, "documents")).filter("shape != 'prose'").select("doc_id", "shape")
+
+
+def p9_statistics(spark: SparkSession, root: str) -> DataFrame:
+    """The statistics, the share of each shape and the shape of every document."""
+    return quality.measured(table(spark, root, "documents"))
+
+
+def p9_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Every statistic of every document with its percentile and robust z-score in the document's language."""
+    return quality.scored(materialize(quality.measured(table(spark, root, "documents")).select("doc_id", "lang", *quality.STATISTICS), "measured"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_survivors, p3_values, p3_sources, p4_found, p4_batches, p5_found, p5_classes, p8_found, p9_found, p9_statistics, p9_scores)}
 
 _VERSIONS = """
 versions AS (
