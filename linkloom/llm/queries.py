@@ -1,4 +1,4 @@
-"""Queries of the training-data problems (p3, p4, p5, p8, p9) over the engine's tables, and their SQL."""
+"""Queries of the training-data problems (p3, p4, p5, p7, p8, p9) over the engine's tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.keys import blank_to_null, clean_hash, effective_algo
-from linkloom.llm import components, leaks, pivots, prefixes, quality, truth, versions
+from linkloom.llm import components, leaks, packing, pivots, prefixes, quality, truth, versions
 from linkloom.session import materialize, shared_dir
 from linkloom.sources.tables import table
 
@@ -107,6 +107,14 @@ def p5_classes(spark: SparkSession, root: str) -> DataFrame:
     return components.components(pairs, "file_ref_a", "file_ref_b").join(links, "node").select(F.col("node").alias("file_ref"), "class_id", "n_links")
 
 
+# ---- p7
+
+
+def p7_containers(spark: SparkSession, root: str) -> DataFrame:
+    """Every document with the container of 2,048 tokens and the place of each of its parts."""
+    return packing.containers(table(spark, root, "documents"))
+
+
 # ---- p8
 
 
@@ -133,7 +141,7 @@ def p9_scores(spark: SparkSession, root: str) -> DataFrame:
     return quality.scored(materialize(quality.measured(table(spark, root, "documents")).select("doc_id", "lang", *quality.STATISTICS), "measured"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_survivors, p3_values, p3_sources, p4_found, p4_batches, p5_found, p5_classes, p8_found, p9_found, p9_statistics, p9_scores)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_survivors, p3_values, p3_sources, p4_found, p4_batches, p5_found, p5_classes, p7_containers, p8_found, p9_found, p9_statistics, p9_scores)}
 
 _VERSIONS = """
 versions AS (
