@@ -29,11 +29,14 @@ def _survivors(spark: SparkSession, root: str) -> truth.Survivors:
         F.lower(site).alias("source"),
         *(blank_to_null(F.col(c).cast("string")).alias(c) for c in ("file_name", "size", "text_hash", "simhash64", "library", "site_path", "etag")),
         F.transform("previous", lambda p: F.lower(p["hash"])).alias("previous_hashes"),
+        blank_to_null("last_confirmed_by").alias("last_confirmed_by"),
+        "current_hash_observed_at",
     ).withColumn("simhash64", F.when(F.col("text_hash").isNotNull(), F.col("simhash64")))
     newest_first = F.coalesce(-F.unix_micros(F.col("last_confirmed_at").cast("timestamp")), F.lit((1 << 63) - 1))
     return truth.survivors(
         records, ["algo", "hash"], "file_ref", [newest_first, -F.col("n_previous")], "source",
         single=["file_name", "size", "text_hash", "simhash64", "library"], multi=["site_path", "etag", "previous_hashes"],
+        carry=["last_confirmed_at", "last_confirmed_by"], earliest=["current_hash_observed_at"],
     )
 
 
@@ -43,8 +46,28 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_survivors(spark: SparkSession, root: str) -> DataFrame:
-    """The representatives with the best value of every field."""
-    return _survivors(spark, root).representatives
+    """The representatives with the best value of every field of hash_index.
+
+    site_path and etag are arrays of the retained values; previous are all distinct entries of the group whose hash is
+    retained, oldest first; confirmation is that of the representative, and so is current_hash_observed_at where it has one.
+    """
+    keys = ["algo", "hash"]
+    chosen = materialize(_survivors(spark, root).representatives, "survivors")
+    index = table(spark, root, "hash_index").filter(blank_to_null("file_ref").isNotNull())
+    each = index.select(effective_algo("algo").alias("algo"), clean_hash("current_hash").alias("hash"), F.explode("previous").alias("p"))
+    entry = F.struct(
+        F.col("p.observed_at").alias("observed_at"),
+        clean_hash("p.hash").alias("hash"),
+        effective_algo("p.algo").alias("algo"),
+        blank_to_null("p.observed_by").alias("observed_by"),
+        blank_to_null("p.text_hash").alias("text_hash"),
+        versions.text_simhash("p.text_hash", "p.simhash64").alias("simhash64"),
+    )
+    retained = chosen.select(*keys, F.explode("previous_hashes").alias("_p"))
+    entries = each.select(*keys, clean_hash("p.hash").alias("_p"), entry.alias("e")).distinct().join(retained, [*keys, "_p"], "left_semi")
+    previous = entries.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("previous"))
+    none = F.array().cast(previous.schema["previous"].dataType)
+    return chosen.join(previous, keys, "left").withColumn("previous", F.coalesce("previous", none))
 
 
 def p3_values(spark: SparkSession, root: str) -> DataFrame:

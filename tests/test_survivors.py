@@ -1,0 +1,41 @@
+"""p3_survivors: every field of hash_index is in the surviving entry."""
+
+from datetime import datetime
+
+import __spark_entry__
+from linkloom.llm import truth
+from tests.test_without_sql import INDEX
+
+
+def test_every_field(spark, tmp_path):
+    day = lambda d: datetime(2024, 1, d)
+    old = ("AA", None, day(2), "job-2", "ta", 7)
+    rows = [
+        ("/a", "FF", None, "a.doc", 10, "e1", "/s1", "lib", day(9), "job-9", None, "t", 5, [old, ("bb", "x", day(1), "", "", 9)]),
+        ("/b", "ff", "full-sha256", "a.doc", 10, "e2", "/s2", "lib", day(8), "job-8", day(4), "t", 5, [old, ("aa", None, day(3), "job-3", "ta", 7)]),
+        ("/c", "ff", "", "a.doc", 10, "", None, "", None, None, day(5), "", 6, None),
+        ("/d", "ee", None, "d", 1, "e", "/s1", "lib", day(1), "j", None, "", 0, None),
+        ("/e", "ee", None, "d", 1, None, None, "lib", None, "j", None, "", 0, None),
+    ]
+    spark.createDataFrame(rows, INDEX).write.parquet(f"{tmp_path}/hash_index.parquet")
+    q = __spark_entry__.queries()
+    got = {x["hash"]: x.asDict(recursive=True) for x in q["p3_survivors"](spark, str(tmp_path)).collect()}
+    missing = set(spark.read.parquet(f"{tmp_path}/hash_index.parquet").columns) - {"current_hash"} - set(got["ff"])
+    assert set(got) == {"ff", "ee"} and not missing
+    kept = {}
+    for x in q["p3_values"](spark, str(tmp_path)).filter("retained").collect():
+        kept.setdefault((x["hash"], x["field"]), []).append(x["value"])
+    ff, ee = got["ff"], got["ee"]
+    assert (ff["file_ref"], ff["last_confirmed_at"], ff["last_confirmed_by"], ff["current_hash_observed_at"]) == ("/a", day(9), "job-9", day(4))
+    for field in ("site_path", "etag", "previous_hashes"):
+        assert ff[field] == sorted(kept.get(("ff", field), [])) and ff[f"n_{field}"] == len(ff[field])
+    entries = [dict(zip(("observed_at", "hash", "algo", "observed_by", "text_hash", "simhash64"), e)) for e in (
+        (day(1), "bb", "x", None, None, None), (day(2), "aa", "full-sha256", "job-2", "ta", 7), (day(3), "aa", "full-sha256", "job-3", "ta", 7))]
+    assert "aa" in ff["previous_hashes"] and ff["previous"] == [e for e in entries if e["hash"] in ff["previous_hashes"]]
+    assert (ee["previous"], ee["current_hash_observed_at"], ee["n_previous_hashes"]) == ([], None, 0)
+
+
+def test_known_fields_first_where_records_are_equal(spark):
+    df = spark.createDataFrame([("k", "/a", 1, None), ("k", "/a", 1, "x"), ("k", "/b", 2, "y")], "k string, m string, o int, c string")
+    row = truth.groups(df, ["k"], "m", [df["o"]], carry=["c"]).first()
+    assert (row["m"], row["c"]) == ("/a", "x")
