@@ -10,14 +10,15 @@ spread over as many tasks as it has chunks. Only chunk summaries meet in one win
 number is bounded by the time span.
 
 Defined cases: rows without entity or instant are no sightings; a null or blank value is no sighting of
-that attribute (the last known value stays valid); equal rows and repeated deliveries join the run they
+that attribute (the last known value stays valid), unless the attribute is of another one (``parts``) and a new run of that
+one starts without it, which ends its version; equal rows and repeated deliveries join the run they
 repeat; states of one instant follow each other by ``order``, giving versions of no length, which the log keeps
 and ``combine`` leaves out; an empty input gives an empty result; columns not named are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from linkloom.functions.keys import blank_to_null
 
 DAY_S = 86_400
+#: Stands for a value that has ended while runs are found.
+ENDED = "\0"
 
 
 def _chunk(at: str, seconds: int) -> Column:
@@ -84,9 +87,12 @@ def carry_forward(df: DataFrame, keys: Sequence[str], at: str, columns: Sequence
     return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"_c_{c}")) for c in columns}).drop("_chunk", *(f"_c_{c}" for c in columns))
 
 
-def attribute_log(events: DataFrame, entity: str, order: Sequence[str], attributes: Sequence[str], chunk_s: int = DAY_S) -> DataFrame:
+def attribute_log(events: DataFrame, entity: str, order: Sequence[str], attributes: Sequence[str], chunk_s: int = DAY_S, parts: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """(entity, attribute, value, valid_from, valid_to, order...): one row per version of each attribute.
 
+    ``parts`` names the attributes that belong to a value of another one, which must be known in every event: a
+    run of the other that starts without them has none until they are seen. That is a row with a null value.
+
     ``order`` starts with the instant; what follows breaks ties, the value itself last. valid_to is null
     while the version is valid. Values are strings.
     """
@@ -97,11 +103,18 @@ def attribute_log(events: DataFrame, entity: str, order: Sequence[str], attribut
     long = base.select(
         F.col(entity).alias("_entity"), F.col(at).alias("_at"), *(F.col(t).alias(n) for t, n in zip(ties, tie_names)), F.explode(F.array(*named)).alias("_a")
     ).select("_entity", "_at", *tie_names, F.col("_a.attribute").alias("_attribute"), F.col("_a.value").alias("_value"))
-    runs = unbroken_runs(long.filter(F.col("_value").isNotNull()), ["_entity", "_attribute"], ["_at", *tie_names, "_value"], "_value", chunk_s)
+    long = long.filter(F.col("_value").isNotNull())
+    for whole, of in (parts or {}).items():
+        void = [(blank_to_null(F.col(a).cast("string")).isNull()).alias(f"_void{i}") for i, a in enumerate(of)]
+        rows = base.select(F.col(entity).alias("_entity"), F.col(at).alias("_at"), *(F.col(t).alias(n) for t, n in zip(ties, tie_names)), blank_to_null(F.col(whole).cast("string")).alias("_whole"), *void)
+        starts = unbroken_runs(rows.filter("_whole is not null"), ["_entity"], ["_at", *tie_names, "_whole", *(f"_void{i}" for i in range(len(of)))], "_whole", chunk_s)
+        ended = F.array_compact(F.array(*(F.when(F.col(f"_void{i}"), F.lit(a)) for i, a in enumerate(of))))
+        long = long.unionByName(starts.select("_entity", "_at", *tie_names, F.explode(ended).alias("_attribute"), F.lit(ENDED).alias("_value")))
+    runs = unbroken_runs(long, ["_entity", "_attribute"], ["_at", *tie_names, "_value"], "_value", chunk_s)
     return runs.select(
         F.col("_entity").alias(entity),
         F.col("_attribute").alias("attribute"),
-        F.col("_value").alias("value"),
+        F.nullif("_value", F.lit(ENDED)).alias("value"),
         F.col("_at").alias("valid_from"),
         F.col("next_at").alias("valid_to"),
         *(F.col(n) for n in tie_names),
@@ -117,9 +130,10 @@ def combine(log: DataFrame, entity: str, attributes: Sequence[str], chunk_s: int
     ties = [c for c in log.columns if c.startswith("_t")]
     position = F.struct(*ties, "value") if ties else F.col("value")
     split = log.groupBy(entity, "valid_from").agg(
-        *(F.max_by("value", F.when(F.col("attribute") == a, position)).alias(f"_v{i}") for i, a in enumerate(attributes))
+        *(F.max_by(F.coalesce("value", F.lit(ENDED)), F.when(F.col("attribute") == a, position)).alias(f"_v{i}") for i, a in enumerate(attributes))
     )
     names = [f"_v{i}" for i in range(len(attributes))]
-    full = carry_forward(split, [entity], "valid_from", names, chunk_s).withColumn("_state", F.struct(*names))
+    full = carry_forward(split, [entity], "valid_from", names, chunk_s)
+    full = full.withColumn("_state", F.struct(*(F.nullif(n, F.lit(ENDED)).alias(n) for n in names)))
     runs = unbroken_runs(full, [entity], ["valid_from"], "_state", chunk_s)
     return runs.select(entity, *(F.col(f"_state.{n}").alias(a) for n, a in zip(names, attributes)), "valid_from", F.col("next_at").alias("valid_to"))

@@ -9,6 +9,8 @@ from linkloom.functions.keys import blank_to_null, canonical_form, clean_hash, e
 from linkloom.operators import history, references, skew
 from linkloom.sources.tables import table
 
+#: The text of a content: all sources know it, so a new content seen without text has none.
+TEXT = {"hash": ["text_hash", "simhash64"]}
 HISTORY_ATTRIBUTES = ["hash", "algo", "text_hash", "simhash64", "file_name", "size", "etag", "site_path", "library"]
 #: Text of a GUID folder, with or without braces.
 GUID = r"^\{?[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\}?$"
@@ -18,7 +20,7 @@ def sightings(spark: SparkSession, root: str, columns: list[str]) -> DataFrame:
     """Events of the files: previous and current contents of hash_index, then observations.
 
     origin 0 is the index, 1 an observation; place is the position in previous (the current one follows) or the ordinal.
-    Columns that a source does not know are null. Sightings need file_ref, hash and observed_at.
+    Columns that a source does not know are null, and so is simhash64 without text. Sightings need file_ref, hash and observed_at.
     """
     index, seen = table(spark, root, "hash_index"), table(spark, root, "observations")
 
@@ -26,10 +28,11 @@ def sightings(spark: SparkSession, root: str, columns: list[str]) -> DataFrame:
         chosen = [(known[c] if c in known else F.lit(None).cast("string")).cast("string").alias(c) for c in columns]
         return df.select("file_ref", at.alias("at"), F.lit(origin).alias("origin"), place.cast("long").alias("place"), *chosen, clean_hash(known["hash"]).alias("_hash"))
 
-    of = lambda prefix: {c: F.col(f"{prefix}{c}") for c in ("text_hash", "simhash64")} | {"hash": clean_hash(f"{prefix}hash"), "algo": effective_algo(f"{prefix}algo")}
+    simhash = lambda prefix: F.when(blank_to_null(f"{prefix}text_hash").isNotNull(), F.col(f"{prefix}simhash64"))
+    of = lambda prefix: {"text_hash": F.col(f"{prefix}text_hash"), "simhash64": simhash(prefix), "hash": clean_hash(f"{prefix}hash"), "algo": effective_algo(f"{prefix}algo")}
     old = index.select("file_ref", F.posexplode("previous").alias("pos", "p"))
     previous = pick(old, of("p."), F.col("p.observed_at"), 0, F.col("pos"))
-    own = {c: F.col(c) for c in ("text_hash", "simhash64", "file_name", "size", "etag", "site_path", "library")} | {"hash": clean_hash("current_hash"), "algo": effective_algo("algo")}
+    own = {c: F.col(c) for c in ("text_hash", "file_name", "size", "etag", "site_path", "library")} | {"simhash64": simhash(""), "hash": clean_hash("current_hash"), "algo": effective_algo("algo")}
     current = pick(index, own, F.col("current_hash_observed_at"), 0, F.greatest(F.coalesce(F.size("previous"), F.lit(0)), F.lit(0)))
     rest = {c: F.col(c) for c in ("file_name", "size", "etag", "site_path", "library")}
     observed = pick(seen, of("") | rest, F.col("observed_at"), 1, F.col("ordinal"))
@@ -45,13 +48,13 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p1_attribute_log(spark: SparkSession, root: str) -> DataFrame:
     """Every version of every attribute of every file with its own interval."""
-    log = history.attribute_log(sightings(spark, root, HISTORY_ATTRIBUTES), "file_ref", ["at", "origin", "place"], HISTORY_ATTRIBUTES)
-    return log.select("file_ref", "attribute", "value", micros("valid_from").alias("valid_from_us"), micros("valid_to").alias("valid_to_us"))
+    log = history.attribute_log(sightings(spark, root, HISTORY_ATTRIBUTES), "file_ref", ["at", "origin", "place"], HISTORY_ATTRIBUTES, parts=TEXT)
+    return log.filter("value is not null").select("file_ref", "attribute", "value", micros("valid_from").alias("valid_from_us"), micros("valid_to").alias("valid_to_us"))
 
 
 def p1_history(spark: SparkSession, root: str) -> DataFrame:
     """The whole state of every file between neighbouring changes of any attribute."""
-    log = history.attribute_log(sightings(spark, root, HISTORY_ATTRIBUTES), "file_ref", ["at", "origin", "place"], HISTORY_ATTRIBUTES)
+    log = history.attribute_log(sightings(spark, root, HISTORY_ATTRIBUTES), "file_ref", ["at", "origin", "place"], HISTORY_ATTRIBUTES, parts=TEXT)
     combined = history.combine(log, "file_ref", HISTORY_ATTRIBUTES)
     return combined.select("file_ref", *HISTORY_ATTRIBUTES, micros("valid_from").alias("valid_from_us"), micros("valid_to").alias("valid_to_us"))
 
