@@ -52,5 +52,8 @@ def clean_hash(c: Column | str) -> Column:
 
 
 def micros(c: Column | str) -> Column:
-    """Microseconds since 1970 of a timestamp without zone, read as UTC in any session zone."""
-    return F.unix_micros(F.from_utc_timestamp(col(c).cast("timestamp"), F.current_timezone()))
+    """Microseconds since 1970 of a timestamp without zone, whatever the session zone: no detour over an instant."""
+    t = col(c).cast("timestamp_ntz")
+    day = F.unix_date(t.cast("date")).cast("long") * F.lit(86_400_000_000)
+    within = (F.hour(t) * F.lit(3600) + F.minute(t) * F.lit(60)).cast("long") * F.lit(1_000_000)
+    return day + within + (F.date_part(F.lit("SECOND"), t) * F.lit(1_000_000)).cast("long")

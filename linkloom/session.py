@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -30,20 +31,36 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Where it is unset and the master is local (tests), a temporary folder is set and removed at exit;
-    on a cluster an unset folder is an error, as no machine-local folder may stand in for it.
+    Where it is unset and everything runs in one process (``local``, ``local[...]``: tests), a temporary folder is made and
+    removed at exit; on any other master an unset folder is an error, as no machine-local folder may stand in for it.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="linkloom-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", path)
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="linkloom-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+    return _OWN[app]
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """An unused place in the shared folder, removed when the application ends.
+
+    Results are lazy scans of what is written there, so nothing may be removed before.
+    """
+    path = f"{shared_dir(spark).rstrip('/')}/linkloom/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
 
 
@@ -54,7 +71,7 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     checkpoint() the result is columnar, so later reads prune columns and the planner knows its size.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/linkloom/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -1,6 +1,5 @@
-"""Queries without SQL against row-by-row Python: p1_attribute_log, p1_history, p3_values, p3_sources, p5_classes."""
+"""p1_attribute_log and p1_history against row-by-row Python."""
 
-import math
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
@@ -8,7 +7,6 @@ from datetime import datetime, timedelta
 import pytest
 
 import __spark_entry__
-from linkloom.llm import truth
 
 INDEX = """file_ref string, current_hash string, algo string, file_name string, size bigint, etag string, site_path string, library string,
 last_confirmed_at timestamp_ntz, last_confirmed_by string, current_hash_observed_at timestamp_ntz, text_hash string, simhash64 bigint,
@@ -90,74 +88,3 @@ def test_p1(spark, tmp_path, seed):
     assert sorted(got, key=key) == sorted(((f, a, v, micros(s), micros(e)) for f, ev in events.items() for a, v, s, e in brute_log(ev)), key=key)
     got = [tuple(x) for x in q["p1_history"](spark, str(tmp_path)).collect()]
     assert sorted(got, key=key) == sorted(((f, *x[:-2], micros(x[-2]), micros(x[-1])) for f, ev in events.items() for x in brute_history(ev)), key=key)
-
-
-def dense_em(claims, rounds):
-    """claims: (group, value, source), each once; every source of a group denies what it does not assert."""
-    values, sources = defaultdict(set), defaultdict(set)
-    for g, v, s in claims:
-        values[g].add(v)
-        sources[g].add(s)
-    made = set(claims)
-    quality = {s: (0.8, 0.9) for _, _, s in claims}
-    for _ in range(rounds):
-        p = {}
-        for g in values:
-            for v in values[g]:
-                odds = math.log(truth.PRIOR / (1 - truth.PRIOR))
-                for s in sources[g]:
-                    a, b = quality[s]
-                    odds += math.log(a) - math.log(1 - b) if (g, v, s) in made else math.log(1 - a) - math.log(b)
-                p[g, v] = 1 / (1 + math.exp(-odds))
-        for s in quality:
-            cells = [(p[g, v], (g, v, s) in made) for g in values if s in sources[g] for v in values[g]]
-            hits, true = sum(x for x, m in cells if m), sum(x for x, _ in cells)
-            wrong, false = sum(1 - x for x, m in cells if m), sum(1 - x for x, _ in cells)
-            (a, b), (c, d) = truth.SENSITIVITY_PRIOR, truth.FALSE_POSITIVE_PRIOR
-            quality[s] = ((hits + a) / (true + a + b), 1 - (wrong + c) / (false + c + d))
-    return p, quality
-
-
-def test_p3_values_and_sources(spark):
-    r = random.Random(2)
-    made = sorted({(f"g{r.randrange(6)}", f"v{r.randrange(3)}", f"s{r.randrange(5)}") for _ in range(60)})
-    df = spark.createDataFrame([(g, "f", v, s) for g, v, s in made], "g string, field string, value string, source string")
-    values, sources = truth.infer(df, ["g"], 3)
-    p, quality = dense_em(made, 3)
-    assert {(x["g"], x["value"]): x["probability"] for x in values.collect()} == pytest.approx(p)
-    got = {x["source"]: (x["sensitivity"], x["specificity"]) for x in sources.collect()}
-    assert set(got) == set(quality) and all(got[s] == pytest.approx(quality[s]) for s in got)
-
-
-def test_p5_classes(spark, tmp_path):
-    prints = {"/a": 0, "/b": 1, "/c": 3 + 4 + 8, "/d": 1 << 40, "/e": (1 << 40) + 7, "/f": -1, "/g": 255 << 20}
-    row = lambda f, x: (f, f"h{f}", None, f, 1, None, None, None, None, None, None, "t", x, None)
-    spark.createDataFrame([row(f, x) for f, x in prints.items()], INDEX).write.parquet(f"{tmp_path}/hash_index.parquet")
-    near = [(a, b) for a in prints for b in prints if a < b and ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() <= 3]
-    classes = {}
-    for f in sorted(prints):
-        reach, todo = {f}, [f]
-        while todo:
-            x = todo.pop()
-            new = {b if a == x else a for a, b in near if x in (a, b)} - reach
-            reach |= new
-            todo += new
-        if len(reach) > 1:
-            classes[f] = (min(reach), sum(f in p for p in near))
-    got = {x["file_ref"]: (x["class_id"], x["n_links"]) for x in __spark_entry__.queries()["p5_classes"](spark, str(tmp_path)).collect()}
-    assert got == classes and len(got) == 5
-
-
-def test_a_broken_module_fails(monkeypatch):
-    """An import that fails must not drop queries."""
-    import importlib
-    import sys
-
-    monkeypatch.setitem(sys.modules, "linkloom.llm.pivots", None)
-    monkeypatch.delitem(sys.modules, "linkloom.llm.queries")
-    monkeypatch.delattr("linkloom.llm.queries", raising=False)
-    monkeypatch.delattr("linkloom.llm.pivots", raising=False)
-    with pytest.raises(ImportError):
-        importlib.reload(__spark_entry__)
-    monkeypatch.undo()
-    importlib.reload(__spark_entry__)

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import __spark_entry__
-from tests.test_without_sql import ATTRIBUTES, INDEX, SEEN, micros, sightings, tables
+from tests.test_history import ATTRIBUTES, INDEX, SEEN, micros, sightings, tables
 
 
 def brute(events):
