@@ -7,6 +7,12 @@ Percentiles and medians come from mergeable quantile sketches per (lang, statist
 logarithmic width (relative error ACCURACY). Sketches of parts add up to that of the whole, whatever the order, so
 results do not change from run to run; a sketch has as many rows as there are orders of magnitude, not documents.
 
+A document is looked at where it is flagged: one of its statistics lies in a tail of its language's distribution by robust z-score
+(the share of prose in the lower one, TAILS), or the language's median share of prose is below MOSTLY. Of the flagged, those are found
+that are not prose by their lines. Nothing is lost by that: a text that is not prose has a share of prose below one half. Where the median is
+MOSTLY or more, over half of the shares are within 1 - MOSTLY of it, so the scale is at most 0.15 / 0.6745; where that deviation is zero, it is at
+most 1.2533 times half of the median. Either way such a text lies over 0.6 scales below.
+
 Defined cases: null and blank texts are junk with statistics of zero; lang is the tag's first part in lower case
 where it is one of COMMON, else the language with most common words in the text, else ``und``; a robust z-score is
 null where the median deviation is zero.
@@ -18,7 +24,7 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -239,6 +245,53 @@ def quantile(sketched: DataFrame, keys: list[str], q: float, name: str) -> DataF
     return hit.select(*keys, bucket_value(F.col("bucket")).alias(name))
 
 
+#: Median share of prose from which on a language is taken as mostly prose.
+MOSTLY = 0.85
+#: Statistic: from how many scales below and above the median on a document is in a tail.
+TAILS = {"share_prose": (0.6, math.inf), **{name: (3.5, 3.5) for name in STATISTICS}}
+
+
+def _long(documents: DataFrame, statistics: Sequence[str]) -> DataFrame:
+    each = F.array(*(F.struct(F.lit(s).alias("statistic"), F.col(s).alias("value")) for s in statistics))
+    return documents.select("lang", F.explode(each).alias("s")).select("lang", "s.*")
+
+
+def scales(documents: DataFrame, statistics: Sequence[str]) -> DataFrame:
+    """(lang, statistic, median, scale) from sketches, one row per language and statistic.
+
+    scale is the median absolute deviation over 0.6745, or where that is zero 1.2533 times the mean one; both estimate
+    the same for normal values. It is zero where all values are in one bucket.
+    """
+    keys = ["lang", "statistic"]
+    base = sketch(_long(documents, statistics), keys)
+    middle = quantile(base, keys, 0.5, "median")
+    apart = base.join(F.broadcast(middle), keys).select(*keys, "n", F.abs(bucket_value(F.col("bucket")) - F.col("median")).alias("value"))
+    mean = apart.groupBy(*keys).agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
+    again = apart.groupBy(*keys, bucket(F.col("value")).alias("bucket")).agg(F.sum("n").alias("n"))
+    mad = quantile(again, keys, 0.5, "mad")
+    scale = F.when(F.col("mad") > 0, F.col("mad") / 0.6745).otherwise(F.col("mean") * 1.2533)
+    return middle.join(mad, keys).join(mean, keys).select(*keys, "median", scale.alias("scale"))
+
+
+def flagged(documents: DataFrame) -> DataFrame:
+    """The measured documents with a statistic in a tail of their language, and in ``tails`` the names of these statistics.
+
+    What is sent to all tasks is one row a language, of which there are at most one more than in COMMON.
+    """
+    per = scales(documents, list(TAILS))
+    wide = per.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("statistic", F.struct("median", "scale")))).alias("_of"))
+    placed = documents.join(F.broadcast(wide), "lang")
+    marks = []
+    for name, (low, high) in TAILS.items():
+        of = F.col("_of")[name]
+        z = (F.col(name) - of["median"]) / F.nullif(of["scale"], F.lit(0.0))
+        out = (z <= F.lit(-low)) | (z >= F.lit(high))
+        if name == "share_prose":
+            out = out | (of["median"] < F.lit(MOSTLY))
+        marks.append(F.when(out, F.lit(name)))
+    return placed.withColumn("tails", F.array_compact(F.array(*marks))).drop("_of").filter(F.size("tails") > 0)
+
+
 def scored(documents: DataFrame) -> DataFrame:
     """(doc_id, lang, statistic, value, percentile, robust_z) of measured documents.
 

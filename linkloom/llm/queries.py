@@ -150,8 +150,15 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
-    """The documents that are for the most part not prose, with their shape."""
-    return quality.measured(table(spark, root, "documents")).filter("shape != 'prose'").select("doc_id", "shape")
+    """The documents in a tail of their language's statistics that are for the most part not prose, with their shape."""
+    measured = materialize(quality.measured(table(spark, root, "documents")), "measured")
+    return quality.flagged(measured).filter("shape != 'prose'").select("doc_id", "shape")
+
+
+def p9_flags(spark: SparkSession, root: str) -> DataFrame:
+    """Every document in a tail of its language, with the statistics that lie there."""
+    measured = materialize(quality.measured(table(spark, root, "documents")), "measured")
+    return quality.flagged(measured).select("doc_id", "lang", "shape", "tails")
 
 
 def p9_statistics(spark: SparkSession, root: str) -> DataFrame:
@@ -164,7 +171,7 @@ def p9_scores(spark: SparkSession, root: str) -> DataFrame:
     return quality.scored(materialize(quality.measured(table(spark, root, "documents")).select("doc_id", "lang", *quality.STATISTICS), "measured"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_survivors, p3_values, p3_sources, p4_found, p4_batches, p5_found, p5_classes, p7_containers, p8_found, p9_found, p9_statistics, p9_scores)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_survivors, p3_values, p3_sources, p4_found, p4_batches, p5_found, p5_classes, p7_containers, p8_found, p9_found, p9_flags, p9_statistics, p9_scores)}
 
 _VERSIONS = """
 versions AS (

@@ -62,3 +62,19 @@ def test_sketches_merge(spark):
     whole = quality.sketch(df, ["k"])
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, whole.collect()))
     assert quality.quantile(merged, ["k"], 0.9, "q").first()["q"] == pytest.approx(899 * 899 / 7, rel=0.011)
+
+
+def test_found_comes_from_the_tails_and_loses_nothing(spark):
+    """Flagging by sketches keeps every text that is not prose, whatever their part in a language."""
+    r = random.Random(5)
+    for part in (0.05, 0.3, 0.48, 0.7):
+        rows = []
+        for i in range(400):
+            prose = r.random() >= part
+            share = r.choice([1.0, 1.0, r.uniform(0.5, 1)]) if prose else r.choice([0.0, 0.0, r.uniform(0, 0.499)])
+            rows.append((i, r.choice(["en", "de"]), *(r.random() for _ in quality.STATISTICS), share, "prose" if prose else "list"))
+        df = spark.createDataFrame(rows, ["doc_id", "lang", *quality.STATISTICS, "share_prose", "shape"])
+        got = {x["doc_id"] for x in quality.flagged(df).collect()}
+        assert {x[0] for x in rows if x[-1] != "prose"} <= got
+        assert part > 0.5 or len(got) < len(rows)
+    assert quality.flagged(df.limit(0)).count() == 0
