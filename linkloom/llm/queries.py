@@ -41,7 +41,7 @@ def _survivors(spark: SparkSession, root: str) -> truth.Survivors:
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    """The representative of each group of equal contents."""
+    """The representative of each group of equal contents, among the members that the quality model judges true."""
     return _survivors(spark, root).representatives.select("algo", "hash", "file_ref")
 
 
@@ -76,7 +76,7 @@ def p3_values(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_sources(spark: SparkSession, root: str) -> DataFrame:
-    """Sensitivity and specificity of each source."""
+    """Sensitivity and specificity of each source for each field."""
     return _survivors(spark, root).sources
 
 
