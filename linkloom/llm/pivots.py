@@ -1,14 +1,21 @@
-"""New batches against all history: a pivot-distance table over 64-bit fingerprints.
+"""New batches against all history: a written pivot-distance table over 64-bit fingerprints.
 
-Every row of history stores its Hamming distances to fixed pivots, by blocks of bits. A distance restricted to
-a block is itself a metric and never more than the whole, so the triangle inequality prunes twice:
+Every row of history stores its Hamming distances to fixed pivots. A distance restricted to a block of bits is itself a metric and
+never more than the whole, so the triangle inequality prunes twice:
 
 * Near fingerprints differ in at most RADIUS bits, hence at most RADIUS blocks; on the blocks left the two are
-  equal and so is their distance to every pivot. Rows meet only under the packed distances of BLOCKS - RADIUS blocks.
+  equal and so is their distance to every pivot. Rows meet only under the distances of BLOCKS - RADIUS blocks to KEY_PIVOTS pivots, which
+  are so many that they leave few other values of the blocks.
 * On whole distances |d(q, p) - d(h, p)| <= d(q, h) <= RADIUS. Distances to the first pivot are cut into
-  ranges, a query visits the ranges its interval touches; the other pivots prune before the true distance is taken.
+  ranges, by which the table is partitioned, and a query visits the ranges its interval touches; the other PIVOTS prune before the true
+  distance is taken.
 
-Packed block distances are many, so no join key grows hot as fingerprints do not repeat in the table: rows with the same
+The history is kept in a folder: ``contents`` and ``table``, both by batch and within it by range and bucket of the key. A batch is
+appended under its id and counts from when its commit mark is there; appending it again replaces or skips it, so a retry adds nothing.
+``classify`` reads the buckets and ranges that the batch touches and no others. What counts as known before a row is decided by
+the ordinals, so a batch may be appended before it is classified and late rows may come in any batch.
+
+Packed block distances are many, so no join key grows hot as fingerprints do not repeat within a batch: rows with the same
 fingerprint are one row, which carries the two earliest files that hold it. That is enough to say whether another
 file held it before a given moment.
 
@@ -21,14 +28,20 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 RADIUS = 3
 BLOCKS = 5
+KEY_PIVOTS = 12
 PIVOTS = 6
 RANGE = 8
+#: Rows of history for each bucket of a written table, and distinct queries up to which a batch is sent to all tasks.
+BUCKET_ROWS = 4_000_000
+SENT_QUERIES = 20_000
+CONTENTS = "file_ref string, content string, simhash bigint, o bigint, batch string, _cb int"
+TABLE = "simhash bigint, o1 bigint, f1 string, o2 bigint, _w bigint, _key bigint, batch string, _range int, _kb int"
 
 
 def _signed(x: int) -> int:
@@ -57,19 +70,23 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def pivot_distances(df: DataFrame, simhash: str, blocks: int = BLOCKS, n_pivots: int = PIVOTS) -> DataFrame:
-    """Adds _b: per block the packed distances to all pivots, and _g: the whole distances."""
-    x, ms, ps = F.col(simhash), masks(blocks), pivots(n_pivots)
-    per = df.select("*", F.array(*(F.bit_count(x.bitwiseXOR(F.lit(p)).bitwiseAND(F.lit(m))).cast("long") for m in ms for p in ps)).alias("_d"))
-    packed, whole = [], []
-    for b in range(blocks):
-        word = F.col("_d")[b * n_pivots]
-        for i in range(1, n_pivots):
-            word = word * F.lit(16) + F.col("_d")[b * n_pivots + i]
+def pivot_distances(df: DataFrame, simhash: str, blocks: int = BLOCKS) -> DataFrame:
+    """Adds _b: per block the distances to the key pivots in one word, and _w: the whole distances, eight bits each."""
+    x, ms, ps = F.col(simhash), masks(blocks), pivots(KEY_PIVOTS)
+    packed, whole = [], F.lit(0).cast("long")
+    for m in ms:
+        word = F.lit(0).cast("long")
+        for p in ps:
+            word = F.shiftleft(word, 4).bitwiseOR(F.bit_count(x.bitwiseXOR(F.lit(p)).bitwiseAND(F.lit(m))).cast("long"))
         packed.append(word)
-    for i in range(n_pivots):
-        whole.append(sum((F.col("_d")[b * n_pivots + i] for b in range(1, blocks)), F.col("_d")[i]).cast("int"))
-    return per.withColumns({"_b": F.array(*packed), "_g": F.array(*whole)}).drop("_d")
+    for p in ps[:PIVOTS]:
+        whole = F.shiftleft(whole, 8).bitwiseOR(F.bit_count(x.bitwiseXOR(F.lit(p))).cast("long"))
+    return df.select("*", F.array(*packed).alias("_b"), whole.alias("_w"))
+
+
+def whole_distance(w: Column, i: int) -> Column:
+    """The distance to pivot i out of _w."""
+    return F.shiftright(w, 8 * (PIVOTS - 1 - i)).bitwiseAND(F.lit(255)).cast("int")
 
 
 def block_keys(blocks: int = BLOCKS, radius: int = RADIUS) -> Column:
@@ -82,25 +99,20 @@ def block_keys(blocks: int = BLOCKS, radius: int = RADIUS) -> Column:
 
 def table_rows(history: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """The pivot-distance table: history rows under each of their keys and the range of their first distance."""
-    if blocks <= radius:
-        raise ValueError("more blocks than the radius are needed")
+    if blocks <= radius or -(-64 // blocks) > 15:
+        raise ValueError("more blocks than the radius are needed, of at most 15 bits")
     rows = pivot_distances(history, "simhash", blocks)
-    return rows.withColumns({"_range": F.floor(F.col("_g")[0] / RANGE).cast("int"), "_key": F.explode(block_keys(blocks, radius))}).drop("_b")
+    return rows.withColumns({"_range": F.floor(whole_distance(F.col("_w"), 0) / RANGE).cast("int"), "_key": F.explode(block_keys(blocks, radius))}).drop("_b")
 
 
 def query_rows(batch: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """Batch rows under each key and each range that their distance interval touches."""
     rows = pivot_distances(batch, "simhash", blocks)
-    low, high = (F.floor((F.col("_g")[0] + F.lit(d)) / RANGE).cast("int") for d in (-radius, radius))
+    low, high = (F.floor((whole_distance(F.col("_w"), 0) + F.lit(d)) / RANGE).cast("int") for d in (-radius, radius))
     keyed = rows.withColumn("_key", F.explode(block_keys(blocks, radius))).drop("_b")
     return keyed.withColumn("_range", F.explode(F.sequence(low, high)))
 
 
-def append_rows(rows: DataFrame, path: str) -> None:
-    """Adds rows to a written pivot-distance table, range-partitioned so that readers prune by range and key."""
-    rows.repartitionByRange("_range", "_key").write.mode("append").parquet(path)
-
-
 def first_two_holders(seen: DataFrame) -> DataFrame:
     """(simhash, o1, f1, o2): when and by which file a fingerprint was first held, and when first by another file."""
     per_file = seen.groupBy("simhash", "file_ref").agg(F.min("o").alias("o"))
@@ -109,63 +121,83 @@ def first_two_holders(seen: DataFrame) -> DataFrame:
     return two.groupBy("simhash").agg(F.max(F.when(F.col("_r") == 1, F.col("o"))).alias("o1"), F.max(F.when(F.col("_r") == 1, F.col("file_ref"))).alias("f1"), F.max(F.when(F.col("_r") == 2, F.col("o"))).alias("o2"))
 
 
-def match(queries: DataFrame, rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(o): the queries (o, file_ref, simhash keyed by query_rows) that have a row of another file, held before, within radius."""
-    q, h = queries.alias("q"), rows.alias("h")
+def match(queries: DataFrame, rows: DataFrame, radius: int = RADIUS, send: bool = False) -> DataFrame:
+    """(o): the queries (o, file_ref, simhash keyed by query_rows) that have a row of another file, held before, within radius.
+
+    ``send`` sends the queries to all tasks, so that the table is not moved.
+    """
+    q, h = (F.broadcast(queries) if send else queries).alias("q"), rows.alias("h")
     on = (F.col("q._key") == F.col("h._key")) & (F.col("q._range") == F.col("h._range"))
     for i in range(1, PIVOTS):
-        on = on & (F.abs(F.col("q._g")[i] - F.col("h._g")[i]) <= radius)
+        on = on & (F.abs(whole_distance(F.col("q._w"), i) - whole_distance(F.col("h._w"), i)) <= radius)
     on = on & (distance(F.col("q.simhash"), F.col("h.simhash")) <= radius)
     other = F.when(F.col("q.file_ref") != F.col("h.f1"), F.col("h.o1")).otherwise(F.col("h.o2"))
+    if send:
+        return h.join(q, on & (other < F.col("q.o"))).select("q.o").distinct()
     return q.join(h, on & (other < F.col("q.o")), "left_semi").select("o").distinct()
 
 
-def classify(index: DataFrame, rows: DataFrame) -> DataFrame:
-    """(ordinal, relation): every looked-at row that brings content another file already has.
-
-    index: file_ref, content, simhash of all accepted versions; rows: the same with ordinal. All batches are
-    classified at once, what counts as known being decided by the ordinal; ``incremental`` does the same batch by batch.
-    """
-    known = index.withColumn("o", F.lit(-1).cast("long")).unionByName(rows.select("file_ref", "content", "simhash", F.col("ordinal").alias("o")))
-    arrival = known.groupBy("file_ref", "content").agg(F.min(F.struct("o", "simhash")).alias("a"))
-    per_file = arrival.select("file_ref", "content", "a.o", "a.simhash")
-    first = per_file.groupBy("content").agg(F.min(F.struct("o", "file_ref", "simhash")).alias("f")).select("f.*").filter("o >= 0")
-    same = per_file.filter("o >= 0").select("o").join(first.select("o"), "o", "left_anti")
-    table = table_rows(first_two_holders(known.filter("simhash is not null").select("simhash", "file_ref", "o")))
-    near = match(query_rows(first.filter("simhash is not null")), table)
-    of = lambda df, relation: df.select(F.col("o").alias("ordinal"), F.lit(relation).alias("relation"))
-    return of(same, "same").unionByName(of(near, "near"))
-
-
-def incremental(index: DataFrame, batch: DataFrame, contents_path: str, table_path: str) -> DataFrame:
-    """One batch against written history; afterwards the batch is part of it.
-
-    contents_path holds (file_ref, content, o), table_path the pivot-distance table; both start from ``index``.
-    The result is computed before the batch is appended; history is read by key, never rewritten.
-    """
-    spark = batch.sparkSession
-    if index is not None:
-        base = index.withColumn("o", F.lit(-1).cast("long"))
-        base.select("file_ref", "content", "o").distinct().write.mode("overwrite").parquet(contents_path)
-        append_rows(table_rows(first_two_holders(base.filter("simhash is not null").select("simhash", "file_ref", "o"))), table_path)
-    now = batch.select("file_ref", "content", "simhash", F.col("ordinal").alias("o"))
-    before = spark.read.parquet(contents_path)
-    own = before.select("file_ref", "content").distinct()
-    arrival = now.groupBy("file_ref", "content").agg(F.min(F.struct("o", "simhash")).alias("a")).select("file_ref", "content", "a.o", "a.simhash")
-    looked = arrival.join(own, ["file_ref", "content"], "left_anti")
-    old = looked.join(before.select("content").distinct(), "content", "left_semi").select("o")
-    fresh = looked.join(before.select("content").distinct(), "content", "left_anti")
-    first = fresh.groupBy("content").agg(F.min(F.struct("o", "file_ref", "simhash")).alias("f")).select("f.*")
-    same = old.unionByName(fresh.select("o").join(first.select("o"), "o", "left_anti"))
-    arrived = table_rows(first_two_holders(now.filter("simhash is not null").select("simhash", "file_ref", "o")))
-    asked = query_rows(first.filter("simhash is not null"))
-    near = match(asked, spark.read.parquet(table_path)).unionByName(match(asked, arrived)).distinct()
-    of = lambda df, relation: df.select(F.col("o").alias("ordinal"), F.lit(relation).alias("relation"))
-    return of(same, "same").unionByName(of(near, "near"))
-
-
-def append_batch(batch: DataFrame, contents_path: str, table_path: str) -> None:
-    """Appends a classified batch to the written history."""
-    now = batch.select("file_ref", "content", "simhash", F.col("ordinal").alias("o"))
-    now.groupBy("file_ref", "content").agg(F.min("o").alias("o")).write.mode("append").parquet(contents_path)
-    append_rows(table_rows(first_two_holders(now.filter("simhash is not null").select("simhash", "file_ref", "o"))), table_path)
+class History:
+    """The written history of one folder. ``buckets``: parts of each table by hash of the key, fixed for the folder."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 1) -> None:
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        jvm = spark.sparkContext._jvm
+        self._at = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def committed(self) -> list[str]:
+        """The ids of the batches that count."""
+        marks = self._at(f"{self.path}/commits")
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(marks)) if self._fs.exists(marks) else []
+
+    def append(self, batch: str, rows: DataFrame) -> None:
+        """Adds file_ref, content, simhash, ordinal (-1: before all) as one batch, unless it is there already."""
+        if batch in self.committed():
+            return
+        now = rows.select("file_ref", "content", "simhash", F.col("ordinal").alias("o"))
+        own = now.groupBy("file_ref", "content").agg(F.min(F.struct("o", "simhash")).alias("a")).select("file_ref", "content", "a.simhash", "a.o")
+        own = own.withColumn("_cb", F.pmod(F.xxhash64("content"), F.lit(self.buckets)).cast("int"))
+        own.repartitionByRange("_cb", "content").write.mode("overwrite").partitionBy("_cb").parquet(f"{self.path}/contents/batch={batch}")
+        held = first_two_holders(now.filter("simhash is not null").select("simhash", "file_ref", "o"))
+        placed = table_rows(held).withColumn("_kb", F.pmod("_key", F.lit(self.buckets)).cast("int"))
+        placed.repartitionByRange("_range", "_kb", "_key").write.mode("overwrite").partitionBy("_range", "_kb").parquet(f"{self.path}/table/batch={batch}")
+        self._fs.create(self._at(f"{self.path}/commits/{batch}"), True).close()
+
+    def _read(self, kind: str, schema: str, of: list[str] | None = None) -> DataFrame:
+        names = self.committed() if of is None else of
+        places = [f"{self.path}/{kind}/batch={b}" for b in names]
+        if not places:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{kind}").parquet(*places)
+
+    def _touched(self, df: DataFrame, column: str) -> list[int]:
+        """The distinct buckets or ranges, of which there are few whatever the rows."""
+        return sorted(r[0] for r in df.select(column).distinct().collect())
+
+    def classify(self, batch: str) -> DataFrame:
+        """(ordinal, relation): the looked-at rows of an appended batch that bring content another file already has."""
+        from linkloom.session import materialize
+
+        contents = self._read("contents", CONTENTS)
+        if self.buckets > 1:
+            contents = contents.filter(F.col("_cb").isin(self._touched(self._read("contents", CONTENTS, [batch]), "_cb")))
+        arrival = contents.groupBy("file_ref", "content").agg(F.min(F.struct("o", "simhash", "batch")).alias("a"))
+        per_file = arrival.select("file_ref", "content", "a.*")
+        first = per_file.groupBy("content").agg(F.min(F.struct("o", "file_ref", "simhash", "batch")).alias("f")).select("f.*").filter((F.col("o") >= 0) & (F.col("batch") == batch))
+        first = materialize(first.select("o", "file_ref", "simhash"), "first")
+        same = per_file.filter((F.col("o") >= 0) & (F.col("batch") == batch)).select("o").join(first.select("o"), "o", "left_anti")
+        asked = first.filter("simhash is not null")
+        queries = query_rows(asked)
+        rows = self._read("table", TABLE)
+        rows = rows.filter(F.col("_range").isin(self._touched(queries, "_range")))
+        if self.buckets > 1:
+            rows = rows.filter(F.col("_kb").isin(self._touched(queries.select(F.pmod("_key", F.lit(self.buckets)).cast("int").alias("_kb")), "_kb")))
+        near = match(queries, rows, send=asked.count() <= SENT_QUERIES)
+        of = lambda df, relation: df.select(F.col("o").alias("ordinal"), F.lit(relation).alias("relation"))
+        return of(same, "same").unionByName(of(near, "near"))
+
+
+def before_all(index: DataFrame) -> DataFrame:
+    """The accepted versions as rows of a batch, before every ordinal."""
+    return index.select("file_ref", "content", "simhash", F.lit(-1).cast("long").alias("ordinal"))

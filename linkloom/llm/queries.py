@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.keys import blank_to_null, clean_hash, effective_algo
 from linkloom.llm import components, leaks, packing, pivots, prefixes, quality, truth, versions
-from linkloom.session import materialize, shared_dir
+from linkloom.session import fresh_path, materialize
 from linkloom.sources.tables import table
 
 # ---- p3
@@ -89,30 +87,39 @@ def _arrivals(spark: SparkSession, root: str) -> DataFrame:
     return rows.filter("content is not null and ordinal is not null")
 
 
+def _history(spark: SparkSession, root: str) -> pivots.History:
+    """A new history that holds the index."""
+    index = versions.index_versions(table(spark, root, "hash_index"))
+    history = pivots.History(spark, fresh_path(spark, "history"))
+    history.append("index", pivots.before_all(index))
+    return history
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    """Rows that bring content, or nearly the content, another file already has."""
-    return pivots.classify(versions.index_versions(table(spark, root, "hash_index")), _arrivals(spark, root))
+    """Rows that bring content, or nearly the content, another file already has: all arrivals as one batch on the written index."""
+    history = _history(spark, root)
+    history.append("arrivals", _arrivals(spark, root))
+    return history.classify("arrivals")
 
 
-def p4_batches(spark: SparkSession, root: str, parts: int = 4) -> DataFrame:
-    """The same batch by batch against a written history that each batch is appended to.
+def p4_batches(spark: SparkSession, root: str) -> DataFrame:
+    """The same job by job, each batch appended to the written history and compared with it.
 
-    The arrivals of all jobs are fed in ``parts`` batches of consecutive ordinals.
+    A batch is what arrives from the first row of a job to the first row of the next one; late rows of a job are in the
+    batch with which they arrive.
     """
-    base = f"{shared_dir(spark).rstrip('/')}/linkloom/history-{uuid4().hex}"
-    contents, rows = f"{base}-contents", f"{base}-table"
+    history = _history(spark, root)
     arrivals = materialize(_arrivals(spark, root), "arrivals")
-    span = arrivals.agg(F.min("ordinal").alias("a"), F.max("ordinal").alias("b")).first()
-    low, high = span["a"] or 0, span["b"] or 0
-    edges = [low + (high + 1 - low) * i // parts for i in range(parts + 1)]
+    starts = sorted(r[0] for r in arrivals.groupBy("job_id").agg(F.min("ordinal")).select("min(ordinal)").collect())
     out = None
-    for i in range(parts):
-        batch = arrivals.filter((F.col("ordinal") >= edges[i]) & (F.col("ordinal") < edges[i + 1]))
-        index = versions.index_versions(table(spark, root, "hash_index")) if i == 0 else None
-        found = materialize(pivots.incremental(index, batch, contents, rows), "found")
-        pivots.append_batch(batch, contents, rows)
+    for k, low in enumerate(starts):
+        batch = arrivals.filter(F.col("ordinal") >= low)
+        if k + 1 < len(starts):
+            batch = batch.filter(F.col("ordinal") < starts[k + 1])
+        history.append(f"b{k:06d}", batch)
+        found = materialize(history.classify(f"b{k:06d}"), "found")
         out = found if out is None else out.unionByName(found)
-    return out
+    return history.classify("index") if out is None else out
 
 
 # ---- p5
