@@ -117,7 +117,7 @@ def p4_batches(spark: SparkSession, root: str) -> DataFrame:
         if k + 1 < len(starts):
             batch = batch.filter(F.col("ordinal") < starts[k + 1])
         history.append(f"b{k:06d}", batch)
-        found = materialize(history.classify(f"b{k:06d}"), "found")
+        found = materialize(history.classify(f"b{k:06d}", pivots.SENT_QUERIES), "found")
         out = found if out is None else out.unionByName(found)
     return history.classify("index") if out is None else out
 
