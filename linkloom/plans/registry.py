@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.plans import dealt
+from linkloom.plans import dealt, link_queries, report_queries
 
-MODULES = (dealt,)
+MODULES = (dealt, link_queries, report_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
