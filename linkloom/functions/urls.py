@@ -105,7 +105,8 @@ def normalized(df: DataFrame, url: str, out: str, depth: int = 2) -> DataFrame:
         temporary += [f"{p}id", inner]
     else:
         found = F.lit("")
-    return df.withColumn(out, F.when(none, F.lit("")).when(form, found).otherwise(key)).drop(*temporary)
+    # Out of a generator, as conditions on a key are not pushed below one: pushed, the stages become one expression that fits no driver.
+    return df.withColumn(out, F.explode(F.array(F.when(none, F.lit("")).when(form, found).otherwise(key)))).drop(*temporary)
 
 
 def has_search_fragment(url: Column | str) -> Column:
