@@ -48,7 +48,7 @@ def root(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("query", ["acl2_backlink_gate", "jn1_lookup", "jn3_orphans", "snk5_library_csv", "agg10_orphan_totals", "jn2_lookup_batch"])
+@pytest.mark.parametrize("query", ["acl2_backlink_gate", "jn1_lookup", "jn3_orphans", "snk5_library_csv", "agg10_orphan_totals", "jn2_lookup_batch", "jn3_orphans_of_scanned_sites"])
 def test_rows_are_those_of_the_sql(spark, root, query):
     con = duckdb.connect()
     for name in TABLES:
